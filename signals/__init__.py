@@ -1,0 +1 @@
+"""The operators of TESTDATA.md's ten problems, as Spark DataFrames over whole tables."""

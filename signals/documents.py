@@ -1,0 +1,140 @@
+"""Problems 8, 9 and 10: tokens, containers and look-alikes of the documents."""
+
+from __future__ import annotations
+
+import functools
+import hashlib
+import re
+import unicodedata
+from collections.abc import Iterator
+from pathlib import Path
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.window import Window
+
+from signals.tables import read
+
+SIZE = 2048
+
+
+@functools.cache
+def encoding():
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def token_ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in texts:
+        yield s.map(lambda t: encoding().encode_ordinary(t) if t else [])
+
+
+@F.pandas_udf(IntegerType())
+def token_count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in texts:
+        yield s.map(lambda t: len(encoding().encode_ordinary(t)) if t else 0).astype("int32")
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", token_ids("text").alias("ids"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = read(spark, sf_dir, "documents").where(F.octet_length("text") > SIZE)  # a token is one byte at least
+    return long.where(token_count("text") > SIZE).select("doc_id")
+
+
+def pack(counts: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
+    """Best fit, longest first, over a histogram of lengths: rows of length, first and end rank, first container, pieces of that length in each. A pattern of lengths repeats until one of them is used up."""
+    left, used = {k: n for k, n in counts.items() if n > 0}, dict.fromkeys(counts, 0)
+    out, box = [], 0
+    while left:
+        room, pattern = SIZE, {}
+        for k in sorted(left, reverse=True):
+            if m := min(room // k, left[k]):
+                pattern[k], room = m, room - m * k
+        times = min(left[k] // m for k, m in pattern.items())
+        for k, m in pattern.items():
+            out.append((k, used[k], used[k] + times * m, box, m))
+            used[k] += times * m
+            left[k] -= times * m
+            if not left[k]:
+                del left[k]
+        box += times
+    return out
+
+
+def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """container, doc_id, part, start (from 0) and tokens of each piece; only longer documents are split. Empty ones are in no container."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", token_count("text").alias("n"))
+    starts = F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(SIZE))
+    pieces = docs.select("doc_id", "n", F.posexplode(starts).alias("part", "start")).withColumn("tokens", F.least(F.col("n") - F.col("start"), F.lit(SIZE)))
+    histogram = {r["tokens"]: r["count"] for r in pieces.where("tokens > 0").groupBy("tokens").count().collect()}
+    plan = spark.createDataFrame(pack(histogram), "tokens int, lo bigint, hi bigint, box bigint, m bigint")
+    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("tokens").orderBy("doc_id", "part")) - 1)
+    fit = (ranked["tokens"] == plan["tokens"]) & (ranked["rank"] >= plan["lo"]) & (ranked["rank"] < plan["hi"])
+    box = F.expr("box + (rank - lo) div m")
+    return ranked.join(F.broadcast(plan), fit, "left").select(box.alias("container"), "doc_id", "part", "start", ranked["tokens"])
+
+
+@functools.cache
+def _skeleton() -> dict[int, str]:
+    """confusables.tsv: Unicode's look-alikes (UTS 39) as ICU 77 has them, of characters that NFKC leaves."""
+    rows = (x.split("\t") for x in Path(__file__).with_name("confusables.tsv").read_text(encoding="utf-8").splitlines())
+    table = {int(a, 16): "".join(chr(int(y, 16)) for y in b.split()) for a, b in rows}
+    # ASCII characters stay what they are; what looks like several of them becomes the one of its kind.
+    return {a: _one(chr(a), b) for a, b in table.items() if a > 127}
+
+
+def _one(c: str, seen: str) -> str:
+    kind = unicodedata.category(c)
+    if seen == "l" and kind != "Ll":
+        return "I" if kind == "Lu" else "1" if kind == "Nd" else "l"
+    return {"O": "0" if kind == "Nd" else "O", "rn": "m", "''": '"'}.get(seen, seen)
+
+
+_BLANK = re.compile(r"\r\n|[^\S\n]")
+_UNSEEN = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]")
+
+
+def look(text: str) -> str:
+    """One form of all strings that look like this one, character by character."""
+    text = _BLANK.sub(lambda m: "\n" if m[0][0] == "\r" else " ", unicodedata.normalize("NFKC", text))
+    if not text.isascii():
+        text = unicodedata.normalize("NFD", _UNSEEN.sub("", text))
+    text = text.translate(_skeleton())
+    return text if text.isascii() else unicodedata.normalize("NFD", text)
+
+
+@F.pandas_udf(StringType())
+def look_key(texts: pd.Series) -> pd.Series:
+    def key(t: str | None) -> str | None:
+        seen = look(t) if t else ""
+        return hashlib.sha256(seen.encode()).hexdigest() if seen.strip() else None
+
+    return texts.map(key)
+
+
+@F.pandas_udf(StringType())
+def look_text(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else look(t))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", look_key("text").alias("key"), F.sha2("text", 256).alias("own"))
+    groups = docs.where("key is not null").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("doc_id", "own"))).alias("of")).where("size(of) > 1")
+    pairs = groups.select(F.explode("of").alias("a"), "of").select("a", F.explode("of").alias("b")).where("a.doc_id < b.doc_id and a.own != b.own")
+    return pairs.select(F.col("a.doc_id").alias("doc_id_a"), F.col("b.doc_id").alias("doc_id_b"))
+
+
+def p10_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", look_text("text").alias("form"))

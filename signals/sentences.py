@@ -1,0 +1,262 @@
+"""Problems 5 and 6: sentences of texts in any script, and texts that were cut off."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+from signals.tables import read
+
+#: Abbreviations after which a sentence goes on, and those that may also end one.
+GO_ON = {*"mr mrs ms dr sr sra srta prof no nos n.º nº núm pág págs aprox approx vs e.g i.e cyl hwy rte jan feb mar apr jun jul aug sept sep oct nov dec spec temp fig incl apt ext tel p.o ste rt mt ft ca bzw z.b ref est".split()}
+MAY_END = {*"inc ltd co corp ave rd blvd ln dr ct st a.m p.m hrs hr min u.s etc mi sec gmbh cía llc".split()}
+#: Words that continue a sentence after an abbreviation or a closed quotation, where upper and lower case do not tell.
+GOES_ON = {*"was were is are when and or but could had has would did in on with for of to from at two sharp model replaced blamed until while that which y o pero cuando en de del con para que".split()}
+SAYS = {*"asked said replied answered told says wrote added dijo preguntó respondió contestó".split()}
+STARTS_TWO = ("two of",)
+OPEN, CLOSE = "([{（「『“«【〈《", ")]}）」』”»】〉》"
+_LINE = re.compile(r"[^\n\r\x0b\x0c\x85  ]+")
+_STOP = re.compile(r"[.!?…。！？．｡؟।]+")
+_AFTER = re.compile(r"[\"'”’»」』)\]}）】〉》]*")
+_KOREAN = re.compile(r"(?:니다|[가-힣]까요|[가-힣]어요|[았었였했됐갔왔졌렸났혔겼]다)(?=\s+[^\s\"'”’)\]])")
+_THAI = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
+_WORD = re.compile(r"[^\s\"“”()«»「」¿¡]+\Z")
+_NEXT = re.compile(r"\s*[\"“«(¿¡'‘]*([^\s.,;:!?\"”)]*)(?:\s+([^\s.,;:!?\"”)]*))?")
+_DOMAIN = re.compile(r"(?:com|net|org|edu|gov|example|test|invalid|io|kr|es|de|fr)\b", re.I)
+
+
+def _spans(line: str) -> list[tuple[int, int]]:
+    """Quotations and brackets that open and close in the line; an inch mark is no quotation."""
+    out, stack = [], []
+    for i, c in enumerate(line):
+        if c == '"':
+            if stack and '"' in [line[k] for k in stack]:
+                while line[k := stack.pop()] != '"':
+                    pass
+                out.append((k, i))
+            elif not (i and line[i - 1].isdigit()):
+                stack.append(i)
+        elif c in OPEN:
+            stack.append(i)
+        elif c in CLOSE and (k := next((k for k in reversed(stack) if line[k] == OPEN[CLOSE.index(c)]), None)) is not None:
+            while stack.pop() != k:
+                pass
+            out.append((k, i))
+    return sorted(out)
+
+
+def _divides(line: str, begin: int, at: int, end: int, after: int) -> bool:
+    """Whether the stop at line[at:end], with its closing marks up to after, ends the sentence from begin."""
+    stop, rest = line[at:end], line[after:]
+    if not rest.strip():
+        return True
+    first, second = (x or "" for x in _NEXT.match(rest).groups())
+    spaced, nxt, low = rest[0].isspace(), rest.lstrip()[0], first.lower()
+    if nxt in ",;:)]}”，、；：)" or (nxt == "-" and spaced):
+        return False
+    if after > end and (low in SAYS or (low in GOES_ON - {"two"} and not stop.startswith("."))):
+        return False
+    if stop[-1] in "。！？｡।؟" or "!" in stop or "?" in stop:
+        wide = re.match(r"[とって]", rest) if after > end else None
+        return not wide and not (after > end and first[:1].islower() and low in SAYS | GOES_ON)
+    word = (_WORD.search(line[begin:at]) or [""])[0]
+    bare = word.lower().rstrip(".").lstrip("'‘[")
+    if "…" in stop or len(stop) > 1:
+        upper = word.isupper() and len(word) > 1 and first.isupper()
+        return not (first[:1].islower() or upper or (not first[:1].isalpha() and not nxt in "\"“«(¿¡"))
+    if not nxt.isascii() and nxt.isalpha() and re.match("[가-힣]", nxt) and bare.isascii() and (not spaced or bare in MAY_END):
+        return False
+    if not spaced:
+        if re.match(r"[\w+-]+\s*(?:[\[(]\s*at\b|at\s+[\w-]+\s+dot\b)", rest, re.I):
+            return False
+        if not nxt.isalpha() and nxt not in "\"“«(¿¡":
+            return after > end and nxt.isdigit()
+        if line[after - 1] != ".":
+            return True
+        token = word + "." + re.match(r"\S*", rest)[0]
+        if "@" in token or (_DOMAIN.match(rest) and not re.match(r"\w+\s+\w", rest)) or "[dot]" in token.lower() or re.match(r"[A-Za-z](?:\.|\b)", rest) and re.search(r"(?:\A|\W)[A-Za-z]\Z", word):
+            return False
+        if bare in GO_ON and first[:1].islower():
+            return False
+        return len(first) > 1 or first in {"I", "i", "A", "a", "Y", "y"}
+    if bare in GO_ON and bare not in {"dr", "no"} or bare in {"no", "nos", "dr", "mr"} and (nxt.isdigit() or bare != "no"):
+        return bare == "dr" and bool(re.search(r"\d+\S*(?:\s+\S+){1,3}\Z", line[begin:at])) and not first[:1].islower()
+    if bare == "no":
+        return not nxt.isdigit()
+    if bare == "st" and not re.search(r"\d+\S*(?:\s+\S+){1,3}\Z", line[begin:at]):
+        return False
+    single = word.isupper() == first.isupper() and (first.isupper() and len(first) > 1 or first.islower())
+    if bare in MAY_END:
+        if bare in {"a.m", "p.m"} and re.fullmatch(r"\W*(?:around|at|about|by)\s+[\d:]+\s*[ap]\.m", line[begin:at], re.I):
+            return False
+        if first[:1].isdigit() or not first:
+            return nxt in "\"“«(¿¡"
+        if first[:1].islower() and re.search(r"[A-Z]", line):
+            return False
+        if single and low in GOES_ON:
+            return f"{low} {second.lower()}".startswith(STARTS_TWO)
+        return True
+    if re.fullmatch(r"[^\W\d_]", bare) and not re.search(r"\d\s*\Z", line[begin : at - len(word)]) and bare.isascii() and bare not in "i":
+        return False
+    if re.fullmatch(r"(?:[a-z]\.)+[a-z]", bare):
+        return not (first[:1].islower() or low in GOES_ON)
+    return True
+
+
+def sentences(text: str) -> list[tuple[int, int]]:
+    """Start (from 0) and end (exclusive) of each sentence, without outer blanks."""
+    out = []
+    for m in _LINE.finditer(text):
+        line, begin, cuts, spans = m[0], 0, [], _spans(m[0])
+        for s in _STOP.finditer(line):
+            at, end = s.span()
+            if at < begin:
+                continue
+            after = _AFTER.match(line, end).end()
+            while after > end and (line[after - 1] in "\"'") and not any(b == after - 1 for _, b in spans) and line[after - 1] == '"':
+                after -= 1
+            if any(a < at and after <= b for a, b in spans):
+                continue
+            if _divides(line, begin, at, end, after):
+                cuts.append(after)
+                begin = after
+        for rule in (_KOREAN, _THAI):
+            cuts += [x.end() if rule is _KOREAN else x.start() for x in rule.finditer(line) if not any(a < x.start() < b for a, b in spans)]
+        begin = 0
+        for cut in sorted({*cuts, len(line)}):
+            piece = line[begin:cut]
+            if piece.strip():
+                start = begin + len(piece) - len(piece.lstrip())
+                out.append((m.start() + start, m.start() + begin + len(piece.rstrip())))
+            begin = cut
+    return out
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("start_pos", IntegerType()), StructField("end_pos", IntegerType())])))
+def sentence_spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in texts:
+        yield s.map(lambda t: [{"start_pos": a + 1, "end_pos": b} for a, b in sentences(t)] if t else [])
+
+
+def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """odino, field and value of complaints.text and labels_llm.summary_ko, each once."""
+    texts = read(spark, sf_dir, "complaints").select("odino", F.lit("text").alias("field"), F.col("text").alias("value"))
+    labels = read(spark, sf_dir, "labels_llm").select("odino", F.lit("summary_ko").alias("field"), F.col("summary_ko").alias("value"))
+    return texts.unionByName(labels).where("value <> ''").distinct()
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = fields(spark, sf_dir).select("odino", "field", F.explode(sentence_spans("value")).alias("s"))
+    return spans.select("odino", "field", "s.start_pos", "s.end_pos").distinct()
+
+
+MARK = re.compile(r"\s*(?:…|\.{2,}|\[(?:\.\.\.|…|truncated|cut|more)\]|\((?:truncated|cut|more|continued)\))\Z", re.I)
+
+
+def _plain(s: str) -> str:
+    return re.sub(r"\d", "9", re.sub(r"\S+@", "@", re.sub(r"[‐-―]", "-", unicodedata.normalize("NFKC", s).lower())))
+
+
+def tail_key(sentence: str) -> str:
+    """The last two words of a sentence in one form: lower case, digits alike, without its last marks."""
+    s = _plain(sentence)
+    s = re.sub(r"[^\w%$\"]+\Z", "", s) if re.search(r"\w", s) else s
+    if re.search(r"[฀-๿぀-ヿ一-鿿]\"?\Z", s):
+        return s[-5:]
+    words = s.split()
+    return words[-1] if words and re.search(r"[가-힣]\Z", s) else " ".join(words[-2:])
+
+
+def tail(text: str) -> dict | None:
+    """How a text ends: kind mark, stop, or open (to be judged by how other sentences end)."""
+    if not text or not text.strip():
+        return None
+    if MARK.search(text):
+        return {"key": None, "kind": "mark"}
+    line = _LINE.findall(text.rstrip())[-1]
+    bare = re.sub(r"\d\"", "", line)
+    if re.search(r"(?<![\W_])[^\W\d_]{3,}[.!?。！？]+\Z", line) and bare.count('"') % 2 == 0 and (_WORD.search(line.rstrip(".")) or [""])[0].lower() not in GO_ON and not any(line.count(x) != line.count(y) for x, y in zip(OPEN, CLOSE, strict=True)):
+        return {"key": None, "kind": "stop"}
+    a, b = sentences(line)[-1]
+    last = line[a:b]
+    quotes = re.sub(r"\d\"", "", last) if last.count('"') % 2 else last
+    unclosed = quotes.count('"') % 2 == 1 or any(last.count(x) > last.count(y) for x, y in zip(OPEN, CLOSE, strict=True))
+    if re.search(r"[,;:/$&@#(\[{-]\Z", last) and not re.search(r"[\])]\Z", last):
+        return {"key": None, "kind": "mark"}
+    if re.search(r"[.!?。！？…．]+[\"'”’»」』)\]）]*\Z", last):
+        if unclosed:
+            return {"key": None, "kind": "mark"}
+        word = (_WORD.search(last.rstrip(".")) or [""])[0].lower()
+        weak = last.endswith(".") and (word in GO_ON or word in {"etc", "u", "e", "i", "a", "p"} or re.fullmatch(r"\$?[\d.,:]+|[a-z]", word))
+        return {"key": tail_key(last), "kind": "weak" if weak else "stop"}
+    word = (_WORD.search(last) or [""])[0].lower()
+    return {"key": tail_key(last), "kind": "cut" if unclosed or word in GO_ON - {"no", "est", "mar", "may"} or word in {"a.m", "p.m"} else "open"}
+
+
+@F.pandas_udf(StructType([StructField("key", StringType()), StructField("kind", StringType())]))
+def tail_of(texts: pd.Series) -> pd.DataFrame:
+    rows = [tail(t) or {"key": None, "kind": None} for t in texts]
+    return pd.DataFrame(rows, columns=["key", "kind"])
+
+
+_DENSE = re.compile(r"[฀-๿぀-ヿ一-鿿가-힣]")
+_ENDS = re.compile(r"[.!?。！？…][\"'”’)]*\Z")
+
+
+def tail_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """key, final, seen: how often two neighbouring words occur, and end a sentence; counted batch by batch."""
+    for batch in batches:
+        seen, final = Counter(), Counter()
+        for text in batch["value"]:
+            lines = _LINE.findall(text)
+            for k, line in enumerate(lines):
+                words = _plain(line).split()
+                if _DENSE.search(line):
+                    spans = sentences(line)
+                    keys = [tail_key(line[a:b]) for i, (a, b) in enumerate(spans) if i + 1 < len(spans) or k + 1 < len(lines) or _ENDS.search(line[a:b])]
+                    final.update(keys)
+                    seen.update(keys)
+                    continue
+                ends = [bool(_ENDS.search(w)) for w in words]
+                if words:
+                    ends[-1] |= k + 1 < len(lines)
+                pairs = [f"{x} {y.rstrip('.!?,;:)…”’\'')}" for x, y in zip(words, words[1:])]
+                seen.update(pairs)
+                final.update(p for p, e in zip(pairs, ends[1:]) if e)
+        if seen:
+            yield pd.DataFrame({"key": list(seen), "final": [final[k] for k in seen], "seen": list(seen.values())})
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = read(spark, sf_dir, "complaints").select(F.lit("complaints").alias("source_table"), F.col("odino").alias("row_key"), F.col("text").alias("value"))
+    snippets = read(spark, sf_dir, "evidence").select(F.lit("evidence").alias("source_table"), F.col("evidence_id").cast("string").alias("row_key"), F.col("snippet").alias("value"))
+    every = texts.unionByName(snippets).where("length(trim(value)) > 0")
+    once = tail_of.asNondeterministic()  # else the filter below runs it again
+    ends = every.select("source_table", "row_key", F.length("value").alias("size"), once("value").alias("t"))
+    ends = ends.select("source_table", "row_key", "size", "t.key", "t.kind").where("kind <> 'stop'").distinct().persist()
+    judged = ends.where("kind in ('open', 'weak')").select("key").distinct()
+    counts = texts.select("value").where("length(value) > 0").mapInPandas(tail_counts, "key string, final bigint, seen bigint")
+    known = counts.join(judged, "key").groupBy("key").agg(F.sum("final").alias("final"), F.sum("seen").alias("seen"))
+    # A length at which many texts break off is a field limit; there an end must be the usual one.
+    sizes = ends.where("kind <> 'weak'").groupBy("source_table", "size").agg(F.count("*").alias("n"))
+    limits = sizes.join(sizes.groupBy("source_table").agg(F.sum("n").alias("all")), "source_table").where("n >= 8 and n >= 0.01 * all").select("source_table", "size", F.lit(True).alias("limit"))
+    joined = ends.join(known, "key", "left").join(limits, ["source_table", "size"], "left")
+    share = F.when(F.coalesce("limit", F.lit(False)) & (F.col("kind") == "open"), 0.6).otherwise(0.1)
+    whole = F.coalesce((F.col("final") >= 3) & (F.col("final") >= share * F.col("seen")), F.lit(False))
+    return joined.where((F.col("kind").isin("mark", "cut")) | ~whole).select("source_table", "row_key").distinct()
+
+
+def p6_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records, cut records and their share per cmpl_type of complaints and label_source of evidence."""
+    texts = read(spark, sf_dir, "complaints").select(F.lit("complaints").alias("source_table"), F.col("odino").alias("row_key"), F.col("cmpl_type").alias("kind")).distinct()
+    snippets = read(spark, sf_dir, "evidence").select(F.lit("evidence").alias("source_table"), F.col("evidence_id").cast("string").alias("row_key"), F.col("label_source").alias("kind")).distinct()
+    cut = p6_found(spark, sf_dir).withColumn("cut", F.lit(1))
+    rows = texts.unionByName(snippets).join(cut, ["source_table", "row_key"], "left")
+    return rows.groupBy("source_table", "kind").agg(F.count("*").alias("records"), F.count("cut").alias("cut"), (F.count("cut") / F.count("*")).alias("share"))

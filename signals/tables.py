@@ -1,0 +1,145 @@
+"""Problems 1, 2, 3 and 7: expressions only, no Python in the executors."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+FIELDS = [f"c{i:02d}" for i in range(1, 52)]
+#: One field after its tab; a field that begins with a quote must be a whole quoted field.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"(?=\t|\z)'
+_LINE = rf'\A(?:\t(?:{_QUOTED}|(?!")[^\t]*+))*+\z'
+_FIELD = rf'\t({_QUOTED}|[^\t]*+)'
+_DAMAGE = "[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f-\x9f�]".encode("unicode_escape").decode()
+#: c12 without blanks and marks, where it names nothing.
+NO_COMPONENT = ["", "NULL", "NONE", "NIL", "NA", "NOTAVAILABLE", "NOTAPPLICABLE", "UNKNOWN", "UNK", "TBD", "UNSPECIFIED"]
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+
+
+def ascii_digits(c: Column) -> Column:
+    return F.translate(c, "０１２３４５６７８９", "0123456789")
+
+
+def day(c: Column) -> Column:
+    """The date of eight ASCII digits of a real day, else null."""
+    s = strip(c)
+    return F.when(s.rlike(r"\A[0-9]{8}\z") & ~s.startswith("0000"), F.try_to_date(s, "yyyyMMdd"))
+
+
+def complaint_id(c: Column) -> Column:
+    """The eight-digit id however it is written, else null."""
+    s = F.regexp_replace(strip(ascii_digits(c)), r"\.0+\z", "")
+    s = F.regexp_replace(F.regexp_replace(s, "[^0-9]", ""), r"\A0+(?=[0-9]{8})", "")
+    return F.when(F.length(s) > 0, F.lpad(s, F.greatest(F.length(s), F.lit(8)), F.lit("0")))
+
+
+def component(c: Column) -> Column:
+    """c12 in one form, null where it names no component."""
+    s = F.upper(F.regexp_replace(F.regexp_replace(strip(c), r"(?U)\s+", " "), r" ?: ?", ":"))
+    return F.when(~F.regexp_replace(s, r"(?U)[^\p{L}\p{N}]", "").isin(NO_COMPONENT), s)
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_table, row_key, c01..c51 and reason (null: accepted) of every line and raw row."""
+    line = F.concat(F.lit("\t"), F.coalesce("line", F.lit("")))
+    lines = read(spark, sf_dir, "complaint_lines").select("line_id", line.alias("line"))
+    lines = lines.withColumn("quoting", ~F.col("line").rlike(_LINE))
+    lines = lines.withColumn("f", F.when(~F.col("quoting"), F.regexp_extract_all("line", F.lit(_FIELD), F.lit(1))))
+
+    def field(i: int) -> Column:
+        v = F.get("f", F.lit(i))
+        return F.when(v.startswith('"'), F.regexp_replace(F.expr(f"substring(f[{i}], 2, greatest(length(f[{i}]) - 2, 0))"), '""', '"')).otherwise(v)
+
+    shape = F.when(F.col("quoting"), "quoting").when(F.size("f") != len(FIELDS), "field_count")
+    cut = lines.withColumn("shape", shape)
+    late = cut.select(F.lit("complaint_lines").alias("source_table"), F.col("line_id").cast("string").alias("row_key"), "shape", *(F.when(F.col("shape").isNull(), field(i)).alias(c) for i, c in enumerate(FIELDS)))
+    raw = read(spark, sf_dir, "complaints_raw").select(F.lit("complaints_raw").alias("source_table"), F.col("c01").alias("row_key"), F.lit(None).cast("string").alias("shape"), *FIELDS)
+    received = strip(F.coalesce("c17", F.lit("")))
+    reason = (
+        F.when(F.col("shape").isNotNull(), F.col("shape"))
+        .when((received != "") & day(F.col("c17")).isNull(), "received_date")
+        .when(F.coalesce(F.col("c20").rlike(_DAMAGE), F.lit(False)), "narrative")
+    )
+    return late.unionByName(raw).withColumn("reason", reason)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).where("reason is not null").select("source_table", "row_key", "reason")
+
+
+def p1_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other record as a typed complaint row."""
+    text = lambda c: F.nullif(strip(F.col(c)), F.lit(""))
+    number = lambda c: F.expr(f"try_cast(round(try_cast(trim({c}) as double)) as int)")
+    make, model = F.upper(text("c04")), F.upper(text("c05"))
+    return records(spark, sf_dir).where("reason is null").select(
+        "source_table", "row_key", complaint_id(F.col("c02")).alias("odino"), make.alias("make"), model.alias("model"), text("c06").alias("year"),
+        day(F.col("c17")).alias("ldate"), day(F.col("c16")).alias("datea"), day(F.col("c08")).alias("faildate"),
+        F.coalesce(F.upper(text("c07")) == "Y", F.lit(False)).alias("crash"), F.coalesce(F.upper(text("c09")) == "Y", F.lit(False)).alias("fire"),
+        number("c10").alias("injured"), number("c11").alias("deaths"), component(F.col("c12")).alias("compdesc"), F.coalesce("c20", F.lit("")).alias("text"),
+        F.upper(text("c21")).alias("cmpl_type"), F.upper(text("c46")).alias("product"), F.concat(make, F.lit("|"), model).alias("grp"), F.trunc(day(F.col("c17")), "MM").alias("month"),
+    )
+
+
+SERIES = ["label_run", "grp", "category"]
+
+
+def months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each month of each series; n null where none is reported."""
+    rows = read(spark, sf_dir, "aggregated_kw").withColumn("month", F.trunc("month", "MM"))
+    latest = F.max_by("n", F.struct(F.col("loaded_at"), F.col("n")))
+    cells = rows.groupBy(*SERIES, "month").agg(latest.alias("n"), (F.count("n") > 0).alias("reported"))
+    ends = rows.groupBy("label_run").agg(F.max("month").alias("last"))
+    spans = cells.groupBy(*SERIES).agg(F.min("month").alias("first")).join(ends, "label_run")
+    grid = spans.select(*SERIES, F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("month"))
+    return grid.join(cells, [*SERIES, "month"], "left")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gaps = months(spark, sf_dir).where(~F.coalesce("reported", F.lit(False)))
+    return gaps.select(*SERIES, F.date_format("month", "yyyy-MM").alias("month"))
+
+
+def p2_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total and average of n over the trailing 3 and 12 months; months before the first row count as zero."""
+    w = Window.partitionBy(*SERIES).orderBy("month")
+    n = F.coalesce("n", F.lit(0))
+    sums = {k: F.sum(n).over(w.rowsBetween(1 - k, 0)) for k in (3, 12)}
+    return months(spark, sf_dir).select(*SERIES, F.date_format("month", "yyyy-MM").alias("month"), n.alias("n"), *(x for k, s in sums.items() for x in (s.alias(f"total_{k}"), (s / k).alias(f"avg_{k}"))))
+
+
+def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all odino, by each one's own hash, so that later rows change no earlier choice."""
+    ids = read(spark, sf_dir, "complaints").select("odino").where("odino is not null").distinct()
+    return ids.where(F.conv(F.substring(F.sha2("odino", 256), 1, 8), 16, 10).cast("bigint") < (1 << 32) // 10)
+
+
+def _by_complaint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = read(spark, sf_dir, "complaints_raw").withColumn("odino", complaint_id(F.col("c02"))).where("odino is not null")
+    return raw.withColumn("rank", F.struct(strip(F.col("c16")).alias("added"), F.expr("try_cast(trim(c01) as decimal(38, 0))").alias("id")))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = F.when(component(F.col("c12")).isNotNull(), F.struct("rank", "c01"))
+    rows = _by_complaint(spark, sf_dir).groupBy("odino").agg(F.count("*").alias("rows"), F.max(named).alias("of"))
+    return rows.where("rows > 1 and of is not null").select("odino", F.col("of.c01").alias("c01"))
+
+
+def p7_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record per complaint: of each field the latest value that is not missing, and all components."""
+    rows = _by_complaint(spark, sf_dir).withColumn("named", component(F.col("c12")))
+
+    def latest(c: str) -> Column:
+        value = F.col("named") if c == "c12" else F.when(F.length(strip(F.col(c))) > 0, F.col(c))
+        value = F.when(day(F.col(c)).isNotNull(), value) if c == "c17" else value
+        return F.max(F.when(value.isNotNull(), F.struct("rank", value.alias("v"))))["v"].alias(c)
+
+    return rows.groupBy("odino").agg(F.count("*").alias("rows"), F.array_sort(F.collect_set("named")).alias("compdesc_list"), *(latest(c) for c in FIELDS if c != "c02"))

@@ -1,0 +1,111 @@
+"""Each problem on a few rows of its own; none of this was registered before."""
+
+import os
+import sys
+
+import pytest
+from pyspark.sql import SparkSession
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])
+
+import __spark_entry__ as entry  # noqa: E402
+from signals import documents, privacy, sentences, tables  # noqa: E402
+
+
+@pytest.fixture(scope="module")
+def spark():
+    s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.shuffle.partitions", 2).getOrCreate()
+    yield s
+    s.stop()
+
+
+def save(df, folder, name):
+    df.write.parquet(f"{folder}/{name}.parquet")
+
+
+def raw(spark, rows):
+    full = [[r.get(c) for c in tables.FIELDS] for r in rows]
+    return spark.createDataFrame(full, ", ".join(f"{c} string" for c in tables.FIELDS))
+
+
+def test_all_problems_are_registered():
+    assert {int(n[1:].split("_")[0]) for n in entry.queries()} == set(range(1, 11))
+
+
+def test_p1_and_p7(spark, tmp_path):
+    line = lambda n, **at: "\t".join(at.get(f"c{i:02d}", "") for i in range(1, n + 1))
+    lines = [(1, line(51)), (2, line(50)), (3, line(51, c20='"a\tb ""c"""')), (4, line(51, c20='"a" b')), (5, line(51, c17=" 20190231 ")), (6, line(51, c20='say "x"', c17=" 20190228 "))]
+    save(spark.createDataFrame(lines, "line_id bigint, line string"), tmp_path, "complaint_lines")
+    rows = [
+        {"c01": "9", "c02": " ODI-12345678", "c12": "BRAKES:HOSE", "c16": "20190101", "c17": "20190101"},
+        {"c01": "10", "c02": "12,345,678", "c12": " brakes : pad", "c16": "20190101", "c17": ""},
+        {"c01": "11", "c02": "１２３４５６７８", "c12": "n.a.", "c16": "20200101", "c20": "x\x07"},
+        {"c01": "12", "c02": "87654321", "c12": "BODY", "c16": "20190101", "c17": "２０１９０１０１"},
+        {"c01": "13", "c02": None, "c12": "BODY", "c16": "20190101", "c20": "a\r\n\tb"},
+    ]
+    save(raw(spark, rows), tmp_path, "complaints_raw")
+    found = {(r.source_table, r.row_key, r.reason) for r in tables.p1_found(spark, str(tmp_path)).collect()}
+    assert found == {("complaint_lines", "2", "field_count"), ("complaint_lines", "4", "quoting"), ("complaint_lines", "5", "received_date"), ("complaints_raw", "11", "narrative"), ("complaints_raw", "12", "received_date")}
+    assert {r.row_key: r.text for r in tables.p1_accepted(spark, str(tmp_path)).collect()}["3"] == 'a\tb "c"'
+    assert [tuple(r) for r in tables.p7_found(spark, str(tmp_path)).collect()] == [("12345678", "10")]
+    assert {r.odino: r.c12 for r in tables.p7_merged(spark, str(tmp_path)).collect()} == {"12345678": "BRAKES:PAD", "87654321": "BODY"}
+
+
+def test_p2(spark, tmp_path):
+    rows = [("r", "a", "x", "2019-01-05", 3, "2019-02-01"), ("r", "a", "x", "2019-01-05", 4, "2019-02-02"), ("r", "a", "x", "2019-02-01", None, "2019-03-01"), ("r", "b", "x", "2019-04-01", 0, "2019-05-01")]
+    df = spark.createDataFrame(rows, "label_run string, grp string, category string, month string, n bigint, loaded_at string")
+    save(df.selectExpr("label_run", "grp", "category", "to_date(month) as month", "n", "to_timestamp(loaded_at) as loaded_at"), tmp_path, "aggregated_kw")
+    assert sorted(r.month for r in tables.p2_found(spark, str(tmp_path)).collect()) == ["2019-02", "2019-03", "2019-04"]
+    assert {r.month: (r.total_3, r.total_12) for r in tables.p2_trailing(spark, str(tmp_path)).where("grp = 'a'").collect()} == {"2019-01": (4, 4), "2019-02": (4, 4), "2019-03": (4, 4), "2019-04": (0, 4)}
+
+
+def test_p3_keeps_what_was_chosen(spark, tmp_path):
+    for name, n in (("a", 2000), ("b", 3000)):
+        save(spark.range(n).selectExpr("cast(id as string) as odino").repartition(3), tmp_path / name, "complaints")
+    a, b = ({r.odino for r in tables.p3_sample(spark, str(tmp_path / x)).collect()} for x in "ab")
+    assert a == {x for x in b if int(x) < 2000} and 100 < len(a) < 300
+
+
+def test_p4():
+    kinds = lambda t: sorted({k for _, _, k in privacy.find(t)})
+    assert kinds("You can reach me at jo+car@inbox.test or area code 753, then 555 0132.") == ["email", "phone"]
+    assert kinds("Repair order 4243-683-7703, part no. 74-3244-ZD, $7,948.30, bulletin 2018-44-0123, 53,964 miles.") == []
+    assert kinds("The estimate was $2,318.22; the warranty ended at 53,964 miles on Hwy. 31 near exit 14 to Mill Road.") == []
+    assert kinds("차주 제갈율솔, 010-0993-2613로 연락 요망. 주민번호 701405-2****** 노출됨.") == ["id_number", "person_name", "phone"]
+    assert privacy.mask("I live at PO Box 12. My name was left off.") == "I live at [ADDRESS]. My name was left off."
+
+
+def test_p5():
+    split = lambda t: [t[a:b] for a, b in sentences.sentences(t)]
+    assert split('The fix took 2 hrs. and cost $8.50. "Why now?" asked he. (So it is.) It died.Then') == ["The fix took 2 hrs. and cost $8.50.", '"Why now?" asked he.', "(So it is.)", "It died.", "Then"]
+    assert split("견인차를 불렀습니다 수리가 되지 않았습니다\n끝") == ["견인차를 불렀습니다", "수리가 되지 않았습니다", "끝"]
+    assert split("「えっ？本当ですか」と言った。危ない！") == ["「えっ？本当ですか」と言った。", "危ない！"]
+    assert split("ไม่มีผู้บาดเจ็บ รถยังไม่ได้ซ่อม") == ["ไม่มีผู้บาดเจ็บ", "รถยังไม่ได้ซ่อม"]
+
+
+def test_p6(spark, tmp_path):
+    whole = [(str(i), "VOQ", "It is old. The car has not been repaired. I called.") for i in range(5)]
+    save(spark.createDataFrame([*whole, ("8", "VOQ", "It is old. The car has not been repaired"), ("9", "VOQ", "It is old. The car has not been rep")], "odino string, cmpl_type string, text string"), tmp_path, "complaints")
+    save(spark.createDataFrame([(1, "llm", "It is old. The car…"), (2, "llm", "It is old."), (3, "llm", None)], "evidence_id bigint, label_source string, snippet string"), tmp_path, "evidence")
+    assert {(r.source_table, r.row_key) for r in sentences.p6_found(spark, str(tmp_path)).collect()} == {("complaints", "9"), ("evidence", "1")}
+
+
+def test_p8_p9_p10(spark, tmp_path):
+    texts = [(1, "a b"), (2, "а b"), (3, "a  b"), (4, None), (5, " "), (6, "word " * 3000), (7, "　"), (8, "O"), (9, "0")]
+    save(spark.createDataFrame(texts, "doc_id bigint, text string"), tmp_path, "documents")
+    ids = {r.doc_id: r.ids for r in documents.p8_ids(spark, str(tmp_path)).collect()}
+    assert ids[4] == [] and documents.encoding().decode(ids[1]) == "a b"
+    assert [r.doc_id for r in documents.p9_found(spark, str(tmp_path)).collect()] == [6]
+    packed = documents.p9_packed(spark, str(tmp_path)).where("tokens > 0").collect()
+    assert sum(r.tokens for r in packed) == sum(map(len, ids.values())) and all(r.container is not None for r in packed)
+    assert [tuple(r) for r in documents.p10_found(spark, str(tmp_path)).collect()] == [(1, 2)]
+
+
+def test_pack_never_overfills():
+    counts = {2048: 3, 1500: 5, 600: 4, 548: 7, 10: 90, 1: 3}
+    load = {}
+    for k, lo, hi, box, m in documents.pack(counts):
+        for r in range(lo, hi):
+            load[box + (r - lo) // m] = load.get(box + (r - lo) // m, 0) + k
+    assert max(load.values()) <= 2048 and sum(load.values()) == sum(k * n for k, n in counts.items())
