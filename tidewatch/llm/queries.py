@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import lookalike, packing, sample, survivor, tokens
+from tidewatch.llm import lookalike, packing, sample, sentences, survivor, tokens
 from tidewatch.sources.tables import read
 
 
@@ -14,6 +14,16 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.sample_batch(read(spark, sf_dir, "complaints"), None).where("chosen").select("odino")
 
 
+def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """odino, field and value of complaints.text and labels_llm.summary_ko."""
+    texts = read(spark, sf_dir, "complaints").select("odino", F.lit("text").alias("field"), F.col("text").alias("value"))
+    return texts.unionByName(read(spark, sf_dir, "labels_llm").select("odino", F.lit("summary_ko").alias("field"), F.col("summary_ko").alias("value")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split(fields(spark, sf_dir), "value", ["odino", "field"])
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.component_source(read(spark, sf_dir, "complaints_raw"))
 
@@ -68,4 +78,4 @@ with r as (
 select odino, arg_max(c01, (added, cast(c01 as hugeint))) filter (where named) as c01 from i group by odino having count(*) > 1 and count(*) filter (where named) > 0
 """
 SQL = {"p7_found": _P7}
-QUERIES = {f.__name__: f for f in (p3_sample, p7_found, p7_merged, p8_ids, p9_found, p9_packed, p9_figures, p10_found, p10_classes, p10_form)}
+QUERIES = {f.__name__: f for f in (p3_sample, p5_found, p7_found, p7_merged, p8_ids, p9_found, p9_packed, p9_figures, p10_found, p10_classes, p10_form)}
