@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import lookalike, packing, sample, sentences, survivor, tokens
+from tidewatch.llm import lookalike, packing, sample, sentences, survivor, tokens, truncation
 from tidewatch.sources.tables import read
 
 
@@ -24,6 +24,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split(fields(spark, sf_dir), "value", ["odino", "field"])
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = read(spark, sf_dir, "complaints").select(F.lit("complaints").alias("source_table"), F.col("odino").alias("row_key"), F.col("cmpl_type").alias("kind"), F.col("text").alias("value"))
+    return texts.unionByName(read(spark, sf_dir, "evidence").select(F.lit("evidence").alias("source_table"), F.col("evidence_id").cast("string").alias("row_key"), F.col("label_source").alias("kind"), F.col("snippet").alias("value")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.judged(_records(spark, sf_dir)).where("cut").select("source_table", "row_key").distinct()
+
+
+def p6_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of cut records per cmpl_type of complaints and per label_source of evidence."""
+    return truncation.report(_records(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.component_source(read(spark, sf_dir, "complaints_raw"))
 
@@ -78,4 +92,4 @@ with r as (
 select odino, arg_max(c01, (added, cast(c01 as hugeint))) filter (where named) as c01 from i group by odino having count(*) > 1 and count(*) filter (where named) > 0
 """
 SQL = {"p7_found": _P7}
-QUERIES = {f.__name__: f for f in (p3_sample, p5_found, p7_found, p7_merged, p8_ids, p9_found, p9_packed, p9_figures, p10_found, p10_classes, p10_form)}
+QUERIES = {f.__name__: f for f in (p3_sample, p5_found, p6_found, p6_share, p7_found, p7_merged, p8_ids, p9_found, p9_packed, p9_figures, p10_found, p10_classes, p10_form)}

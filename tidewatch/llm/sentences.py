@@ -117,7 +117,7 @@ def divides(line: str, begin: int, at: int, end: int, after: int) -> bool:
     if stop[-1] in "。！？｡।؟" or "!" in stop or "?" in stop:
         if closed and nxt in "とって":
             return False
-        return not (closed and first[:1].islower() and (low in SAYS or low in CARRIES_ON))
+        return not (closed and first[:1].islower() and (low in SAYS or low in CARRIES_ON or any(c.isupper() for c in line)))
     word = (_WORD.search(line, begin, at) or [""])[0]
     bare = word.lower().rstrip(".").lstrip("'‘[")
     if "…" in stop or len(stop) > 1:
