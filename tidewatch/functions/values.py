@@ -14,6 +14,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Blank characters of Unicode (category Zs).
+BLANKS = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
+
+def trimmed(c: Column | str) -> Column:
+    """Without outer blank characters; tabs and line breaks stay."""
+    return F.trim(col(c), F.lit(BLANKS))
+
+
 def strip(c: Column | str) -> Column:
     """Without outer blanks of any script."""
     return F.regexp_replace(col(c), r"(?U)\A\s+|\s+\z", "")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import problems
+from tidewatch.plans import monitor, problems
 
-MODULES = [problems]
+MODULES = [problems, monitor]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
-FLAGSHIP = "p2_trailing"
+FLAGSHIP = "causal_poisson_alerts"
