@@ -82,7 +82,7 @@ def scored(grid: DataFrame, history: int = HISTORY, least_history: int = LEAST_H
     before = series.rowsBetween(-history, -1)
     enough = F.count("n").over(before) >= least_history
     rows = grid.withColumn("baseline", F.when(enough, F.greatest(F.avg("n").over(before), F.lit(floor)))).withColumn("_n", F.when(enough, F.sum("n").over(before))).withColumn("_t", F.when(enough, F.sum("total").over(before)))
-    rate = F.least(F.greatest(F.try_divide("_n", "_t"), F.lit(0.0)), F.lit(1.0))
+    rate = F.when(F.col("_t") > 0, F.least(F.greatest(F.col("_n") / F.col("_t"), F.lit(0.0)), F.lit(1.0)))  # least and greatest pass nulls over
     p, q = poisson_tail(F.col("n"), F.col("baseline")), binomial_tail(F.col("n"), F.col("total"), rate)
 
     def rule(c: str) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.values import trimmed
+
 # The default patterns of this library, a parameter everywhere: name, pattern, placeholder. Ends are looked at with classes
 # of ASCII letters, so an identifier next to a Hangul letter is found too.
 PATTERNS: list[tuple[str, str, str]] = [
@@ -38,8 +40,7 @@ def match_names(c: Column, patterns: Sequence[tuple[str, str, str]] = PATTERNS)
 
 def split_sentences(c: Column) -> Column:
     """The parts of a text behind a stop and a blank; an abbreviation of single letters (U.S.) and a number don't end one."""
-    marked = F.regexp_replace(collapsed(c), r"([A-Za-z]\.)([A-Za-z]\.)", "$1$2")
-    return F.filter(F.transform(F.split(F.regexp_replace(marked, r"([^ .][^ .][.!?。！？]+[\"”’)]*) +", "$1\n"), "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(collapsed(c), r"([^ .][^ .][.!?。！？]+[\"”’)]*) +", "$1\n"), "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def public_excerpt(c: Column, patterns: Sequence[tuple[str, str, str]] = PATTERNS, limit: int | None = 520, withheld: str = "[withheld]") -> Column:
@@ -57,7 +58,7 @@ def public_excerpt(c: Column, patterns: Sequence[tuple[str, str, str]] = PATTERN
 def known_values(raw: DataFrame, ids: DataFrame, columns: Sequence[str] = ("c13", "c15", "c41", "c42", "c43", "c51")) -> DataFrame:
     """odino and known: the private values of all raw rows of each asked id, the longest first; ids without any have an empty list."""
     wanted = ids.select(F.col("odino").alias("_id")).distinct()
-    rows = raw.select(F.trim("c02").alias("_c02"), F.array_compact(F.array(*[F.nullif(F.trim(c), F.lit("")) for c in columns])).alias("_v")).join(wanted, F.col("_c02") == F.col("_id"), "left_semi")
+    rows = raw.select(trimmed("c02").alias("_c02"), F.array_compact(F.array(*[F.nullif(trimmed(c), F.lit("")) for c in columns])).alias("_v")).join(wanted, F.col("_c02") == F.col("_id"), "left_semi")
     sets = rows.select("_c02", F.explode("_v").alias("v")).distinct().groupBy("_c02").agg(F.array_sort(F.collect_list(F.struct((-F.length("v")).alias("l"), F.lower("v").alias("k"), "v"))).alias("s"))
     return wanted.join(sets, F.col("_id") == F.col("_c02"), "left").select(F.col("_id").alias("odino"), F.coalesce(F.transform("s", lambda x: x["v"]), F.array().cast("array<string>")).alias("known"))
 
