@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tidewatch.sources.cut import cut
+
 #: A trigram is frequent from so many occurrences on, and almost never terminal up to this share of ends; at a mark of omission, up to the other share.
 FREQUENT, SHARE, OMITTED = 3, 0.015, 0.9
 
@@ -22,15 +24,19 @@ _CLOSERS = r"[\"\\x27”’»」』)\\]）]*"
 _OPENERS = r"[\"\\x27“«(¿¡「\\[]*"
 _DENSE = r"\\u0E00-\\u0E7F\\u3041-\\u30FF\\u3400-\\u9FFF"
 
-#: Steps, each a query over the step before ({_}). U+0001 is an end of a sentence, U+0002 a stop of unknown meaning.
+#: Steps, each a query over the step before ({_}). U+0001 is an end of a sentence, U+0002 a stop of unknown meaning. What can
+#: only stand at the end of a text (a mark of omission, the last stop) is looked for there alone, and no pattern begins with a
+#: look behind, so each pass over a text is one comparison a character.
 _PREPARED = [
-    rf"select source_table, row_key, kind, regexp_replace(value, '{_OMISSION}', '') as bare, rlike(value, '{_OMISSION}') as omitted from {{_}}",
-    r"select source_table, row_key, kind, omitted, bare <> upper(bare) and bare <> lower(bare) as mixed, regexp_replace(bare, '[0-9]+(?:[.,:/\\x27–-]+[0-9]+)*[,:/–-]*', '0') as s from {_}",
-    rf"""select source_table, row_key, kind, omitted, regexp_replace(
-      case when mixed then regexp_replace(s, '[.!?…]+{_CLOSERS}(?=\\s+{_OPENERS}\\p{{{{Lu}}}})|(?<=[\\p{{{{Ll}}}}0-9)])[.!?…]+{_CLOSERS}(?={_OPENERS}\\p{{{{Lu}}}})', '\u0001')
-           else regexp_replace(regexp_replace(s, '[!?]+{_CLOSERS}(?=\\s)', '\u0001'), '[.…]+{_CLOSERS}(?=\\s+{_OPENERS}\\p{{{{L}}}})', '\u0002') end,
-      '[。！？｡]+{_CLOSERS}|[.!?…]*{_CLOSERS}\\s*[\\r\\n]+|[.!?…]+{_CLOSERS}\\s*$|(?<=[\\u0E00-\\u0E7F])\\s+(?=[\\u0E00-\\u0E7F])|(?<=니다|까요|어요)\\s+', '\u0001') as s from {{_}}""",
-    r"select source_table, row_key, kind, omitted, rlike(s, '\u0001\\s*$') as ended, filter(transform(split(lower(s), '\u0001'), x -> trim(x)), x -> x <> '') as sentences from {_}",
+    rf"select source_table, row_key, kind, value, rlike(right(rtrim(value), 24), '{_OMISSION}') as omitted from {{_}}",
+    rf"select source_table, row_key, kind, omitted, case when omitted then regexp_replace(value, '{_OMISSION}', '') else value end as bare from {{_}}",
+    r"""select source_table, row_key, kind, omitted, rlike(bare, '\\p{{Lu}}') and rlike(bare, '\\p{{Ll}}') as mixed, rlike(bare, '[\\u0E00-\\u0E7F가-힣]') as unmarked,
+      translate(regexp_replace(bare, '[0-9]+(?:[.,:/\\x27–-]+[0-9]+)*[,:/–-]*', '0'), '\r\n。！？｡', '\u0001\u0001\u0001\u0001\u0001\u0001') as s from {_}""",
+    rf"""select source_table, row_key, kind, omitted, unmarked, rlike(right(rtrim(s), 12), '[.!?…\u0001]{_CLOSERS}\\s*$') as ended,
+      case when mixed then regexp_replace(s, '[.!?…]+(?:{_CLOSERS}(?=\\s+{_OPENERS}\\p{{{{Lu}}}})|(?<=[\\p{{{{Ll}}}}0-9)][.!?…]){_CLOSERS}(?={_OPENERS}\\p{{{{Lu}}}}))', '\u0001')
+           else regexp_replace(regexp_replace(s, '[!?]+{_CLOSERS}(?=\\s)', '\u0001'), '[.…]+{_CLOSERS}(?=\\s+{_OPENERS}\\p{{{{L}}}})', '\u0002') end as s from {{_}}""",
+    r"""select source_table, row_key, kind, omitted, ended, filter(transform(split(lower(
+      case when unmarked then regexp_replace(s, '\\s(?:(?<=[\\u0E00-\\u0E7F]\\s)(?=\\s*[\\u0E00-\\u0E7F])|(?<=(?:니다|까요|어요)\\s))', '\u0001') else s end), '\u0001'), x -> trim(x)), x -> rlike(x, '[^\\s.!?…]')) as sentences from {_}""",
 ]
 _WORDS = rf"concat(array('^', '^'), regexp_extract_all(s, '\u0002|[{_DENSE}]|[\\p{{{{L}}}}\\p{{{{M}}}}\\p{{{{N}}}}\\$@&+%#_\\x27’\\-&&[^{_DENSE}]]+', 0))"
 _TRIGRAMS = [
@@ -80,8 +86,8 @@ def judged(texts: DataFrame) -> DataFrame:
     texts count, however often they occur; an empty table gives an empty result.
     """
     spark = texts.sparkSession
-    prepared = steps(texts.where("value is not null").dropDuplicates(), _PREPARED)
-    ends, trigrams = steps(prepared, _ENDS), steps(prepared, _TRIGRAMS)
+    prepared = steps(texts.where("value is not null"), _PREPARED)
+    ends, trigrams = cut(steps(prepared, _ENDS)), steps(prepared, _TRIGRAMS)
     # The distinct last trigrams meet the counts, so that a frequent one is no hot key.
     counted = spark.sql(_COUNTED, finals=ends.select("w1", "w2", "w3").distinct(), trigrams=trigrams)
     return steps(spark.sql(_SUMMED, ends=ends, counted=counted), [_JUDGED])
