@@ -88,7 +88,7 @@ def asof_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shown(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({c: F.round(c, 9) for c in ("baseline", "p_value", "binomial_p_value") if c in rows.columns})
+    return rows.withColumns({c: F.round(c, 12) for c in ("baseline", "p_value", "binomial_p_value") if c in rows.columns})
 
 
 def causal_poisson_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,8 +283,8 @@ SQL = {
     "expression_counts": "with once as (select distinct on (odino) * from complaints order by odino) select month, " + ", ".join(f"count(*) filter (where regexp_matches(lower(text), '{L.WORD}(?:{L.LEXICON[k]})')) as {k}" for k in _C6) + " from once where month is not null group by month",
     "dense_monthly_grid": f"with {_grid_sql()} select * from grid",
     "asof_grid": f"with {_grid_sql(AS_OF)} select * from grid",
-    "causal_poisson_alerts": f"with {_SCORED} select grp, category, month, n, total, round(baseline, 9) as baseline, round(p_value, 9) as p_value, alert from det",
-    "binomial_comparison": f"with {_SCORED} select grp, category, month, n, total, round(q, 9) as binomial_p_value, binomial_alert from det where n > 0",
+    "causal_poisson_alerts": f"with {_SCORED} select grp, category, month, n, total, round(baseline, 12) as baseline, round(p_value, 12) as p_value, alert from det",
+    "binomial_comparison": f"with {_SCORED} select grp, category, month, n, total, round(q, 12) as binomial_p_value, binomial_alert from det where n > 0",
     "alert_streaks": f"with {_SCORED} select grp, category, month, n, cast(streak as bigint) as streak, streak = 1 as is_new, round(n / baseline, 6) as ratio, round(least(n / baseline, 5.0) / 5, 6) as intensity, cast(month + interval 1 month as date) as available, grp || ':' || category || ':' || strftime(month, '%Y-%m') as cell from det where alert",
     "asof_replay": f"with {_grid_sql()} select c as cutoff, count(*) as cells, cast(0 as bigint) as differing from grid, (select unnest([{', '.join(f"date '{c}'" for c in CUTOFFS)}]) as c) where month <= c group by c",
     "registered_scope": f"with {_POOL} select distinct odino, grp, ldate from complaints c where exists (select 1 from pg where pg.grp = c.grp and c.ldate >= pg.odate - interval 48 month and c.ldate < pg.odate + interval 6 month)",
