@@ -157,30 +157,32 @@ def loss(p: dict[str, np.ndarray], ids: np.ndarray, lengths: np.ndarray, tags: n
     return value, g
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (np.log(np.exp(x - top).sum(axis, keepdims=True)) + top).squeeze(axis)
-
-
 def crf(p: dict[str, np.ndarray], em: np.ndarray, mask: np.ndarray, lengths: np.ndarray, tags: np.ndarray) -> tuple[float, np.ndarray, dict[str, np.ndarray]]:
-    """The loss, its gradient by the scores, and by transitions (t), starts (s) and ends (f)."""
+    """The loss, its gradient by the scores, and by transitions (t), starts (s) and ends (f). Sums of paths are kept at one by scaling."""
     T, B, K = em.shape
     cols, total = np.arange(B), float(lengths.sum())
-    a = np.empty((T, B, K), np.float32)
-    a[0] = p["s"] + em[0]
-    for t in range(1, T):
-        nxt = _logsum(a[t - 1][:, :, None] + p["t"], 1) + em[t]
-        a[t] = np.where(mask[t][:, None], nxt, a[t - 1])
-    z = _logsum(a[-1] + p["f"], 1)
-    b = np.empty((T, B, K), np.float32)
-    b[-1] = p["f"]
-    g = {"t": np.zeros_like(p["t"]), "s": np.zeros_like(p["s"]), "f": np.zeros_like(p["f"])}
+    top = em.max(2, keepdims=True)
+    u = np.exp(em - top)
+    move, away = np.exp(p["t"]), np.exp(p["f"])
+    a, scale = np.empty((T, B, K), em.dtype), np.ones((T, B, 1), em.dtype)
+    now = np.exp(p["s"]) * u[0]
+    for t in range(T):
+        if t:
+            now = np.where(mask[t][:, None], (a[t - 1] @ move) * u[t], a[t - 1])
+        scale[t] = now.sum(1, keepdims=True)
+        a[t] = now / scale[t]
+    ends = (a[-1] * away).sum(1)
+    z = ((np.log(scale) + top)[..., 0] * mask).sum(0) + np.log(ends)
+    b = np.empty((T, B, K), em.dtype)
+    b[-1] = away / ends[:, None]
+    g = {"t": np.zeros_like(p["t"])}
     for t in range(T - 2, -1, -1):
-        ahead = p["t"] + (em[t + 1] + b[t + 1])[:, None, :]
         live = mask[t + 1][:, None]
-        b[t] = np.where(live, _logsum(ahead, 2), b[t + 1])
-        g["t"] += (np.exp(a[t][:, :, None] + ahead - z[:, None, None]) * live[..., None]).sum(0)
-    d = np.exp(a + b - z[None, :, None]) * mask[..., None]
+        ahead = u[t + 1] * b[t + 1] / scale[t + 1] * live
+        b[t] = np.where(live, ahead @ move.T, b[t + 1])
+        g["t"] += a[t].T @ ahead
+    g["t"] *= move
+    d = a * b * mask[..., None]
     last = lengths - 1
     g["s"] = d[0].sum(0)
     g["f"] = d[last, cols].sum(0)

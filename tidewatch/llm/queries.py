@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import lookalike, packing, sample, sentences, survivor, tokens, truncation
+from tidewatch.llm.pii import spans
 from tidewatch.sources.tables import read
 
 
@@ -20,6 +21,15 @@ def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.unionByName(read(spark, sf_dir, "labels_llm").select("odino", F.lit("summary_ko").alias("field"), F.col("summary_ko").alias("value")))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.kinds(spans.with_spans(fields(spark, sf_dir), "value", ["odino", "field"]), ["odino", "field"])
+
+
+def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts and summaries with typed placeholders."""
+    return spans.masked(spans.with_spans(fields(spark, sf_dir), "value", ["odino", "field"]), "value").drop("spans")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split(fields(spark, sf_dir), "value", ["odino", "field"])
 
@@ -92,4 +102,4 @@ with r as (
 select odino, arg_max(c01, (added, cast(c01 as hugeint))) filter (where named) as c01 from i group by odino having count(*) > 1 and count(*) filter (where named) > 0
 """
 SQL = {"p7_found": _P7}
-QUERIES = {f.__name__: f for f in (p3_sample, p5_found, p6_found, p6_share, p7_found, p7_merged, p8_ids, p9_found, p9_packed, p9_figures, p10_found, p10_classes, p10_form)}
+QUERIES = {f.__name__: f for f in (p3_sample, p4_found, p4_masked, p5_found, p6_found, p6_share, p7_found, p7_merged, p8_ids, p9_found, p9_packed, p9_figures, p10_found, p10_classes, p10_form)}

@@ -31,7 +31,7 @@ _PREPARED = [
     rf"select source_table, row_key, kind, value, rlike(right(rtrim(value), 24), '{_OMISSION}') as omitted from {{_}}",
     rf"select source_table, row_key, kind, omitted, case when omitted then regexp_replace(value, '{_OMISSION}', '') else value end as bare from {{_}}",
     r"""select source_table, row_key, kind, omitted, rlike(bare, '\\p{{Lu}}') and rlike(bare, '\\p{{Ll}}') as mixed, rlike(bare, '[\\u0E00-\\u0E7F가-힣]') as unmarked,
-      translate(regexp_replace(bare, '[0-9]+(?:[.,:/\\x27–-]+[0-9]+)*[,:/–-]*', '0'), '\r\n。！？｡', '\u0001\u0001\u0001\u0001\u0001\u0001') as s from {_}""",
+      regexp_replace(regexp_replace(bare, '[0-9]+(?:[.,:/\\x27–-]+[0-9]+)*[,:/–-]*', '0'), '[\\r\\n。！？｡]', '\u0001') as s from {_}""",
     rf"""select source_table, row_key, kind, omitted, unmarked, rlike(right(rtrim(s), 12), '[.!?…\u0001]{_CLOSERS}\\s*$') as ended,
       case when mixed then regexp_replace(s, '[.!?…]+(?:{_CLOSERS}(?=\\s+{_OPENERS}\\p{{{{Lu}}}})|(?<=[\\p{{{{Ll}}}}0-9)][.!?…]){_CLOSERS}(?={_OPENERS}\\p{{{{Lu}}}}))', '\u0001')
            else regexp_replace(regexp_replace(s, '[!?]+{_CLOSERS}(?=\\s)', '\u0001'), '[.…]+{_CLOSERS}(?=\\s+{_OPENERS}\\p{{{{L}}}})', '\u0002') end as s from {{_}}""",
@@ -86,8 +86,8 @@ def judged(texts: DataFrame) -> DataFrame:
     texts count, however often they occur; an empty table gives an empty result.
     """
     spark = texts.sparkSession
-    prepared = steps(texts.where("value is not null"), _PREPARED)
-    ends, trigrams = cut(steps(prepared, _ENDS)), steps(prepared, _TRIGRAMS)
+    prepared = cut(steps(texts.where("value is not null"), _PREPARED))  # read three times
+    ends, trigrams = steps(prepared, _ENDS), steps(prepared, _TRIGRAMS)
     # The distinct last trigrams meet the counts, so that a frequent one is no hot key.
     counted = spark.sql(_COUNTED, finals=ends.select("w1", "w2", "w3").distinct(), trigrams=trigrams)
     return steps(spark.sql(_SUMMED, ends=ends, counted=counted), [_JUDGED])
