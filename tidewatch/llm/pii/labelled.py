@@ -146,7 +146,7 @@ VIN: <vin>.|VIN <vin>|The VIN is <vin>.|The vehicle identification number is <vi
 }
 #: What private data is mistaken for; nothing here is marked.
 OTHERS = {
-    "en": """The part number is {2}-{4}-XC.|Repair order #{8} lists the work.|Opened case #{8}.|Case RO {6}.|Bulletin {4}-44-0{3} does not cover my year.|Invoice {10} was paid.|Order {3}-{7} shipped.|The lot is on Brindle Ave.|Traffic backed up from exit 12 to Mill Road.|On Route {2} near exit {2}.|It was towed to Gull Harbor.|Blue Heron Service Co. could not help.|I bought the 20{2} Velmora Tarn.|The mileage was {2},{3} miles.|It cost ${1},{3}.{2}.|On 0{1}/1{1}/201{1} it failed.|My name was left off the work order.|The address on file was out of date.|The VIN plate was too rusty to read.|The phone went dead.|The hotline menu, option {1}, rang.|Call the dealer.|Ticket {3}-{3}-{4} was closed.|Campaign {2}V{3} applies.|Software 4.{1}.{1} was installed.|The tow truck from Ten Mile Tow came.|I drove {2} miles on County Road.|Ask for the service desk.|Contact the dealer.|The dealer, Blue Heron Motors, said no.""",
+    "en": """The part number is {2}-{4}-XC.|Reference {8}.|Ref {8}.|Ref. {6}.|Reference {7}|Reference number {6}.|Case reference {5}.|Confirmation {8}.|Serial {7}.|Claim {3}-{6}.|It jammed across my chest, and it was not the first time.|Outside Port St. Marrow, flames were seen.|On Jan. {1}, 2019 it failed.|At {5} mi every gauge went dark.|Both headlights went out.|Repair order #{8} lists the work.|Opened case #{8}.|Case RO {6}.|Bulletin {4}-44-0{3} does not cover my year.|Invoice {10} was paid.|Order {3}-{7} shipped.|The lot is on Brindle Ave.|Traffic backed up from exit 12 to Mill Road.|On Route {2} near exit {2}.|It was towed to Gull Harbor.|Blue Heron Service Co. could not help.|I bought the 20{2} Velmora Tarn.|The mileage was {2},{3} miles.|It cost ${1},{3}.{2}.|On 0{1}/1{1}/201{1} it failed.|My name was left off the work order.|The address on file was out of date.|The VIN plate was too rusty to read.|The phone went dead.|The hotline menu, option {1}, rang.|Call the dealer.|Ticket {3}-{3}-{4} was closed.|Campaign {2}V{3} applies.|Software 4.{1}.{1} was installed.|The tow truck from Ten Mile Tow came.|I drove {2} miles on County Road.|Ask for the service desk.|Contact the dealer.|The dealer, Blue Heron Motors, said no.""",
     "es": "La pieza n.º {2}-{4}-DA está agotada.|La orden {8} está abierta.|Esperé {2} minutos.|El taller cobró ${1},{3}.{2}.|Pasó otra vez el 0{1}/1{1}/2018.|Según la pág. {1} del manual.|La calle estaba mojada.",
     "ko": "부품 {2}-{4}-BB 재고가 없습니다.|시속 {2} km에서 멈췄다.|수리비 ${1},{3}.{2}가 청구됐다.|접수번호 {8} 확인됨.|고객 센터에 알렸습니다.|2019년 {1}월 발생.|견인차를 불렀습니다.|정비사가 점검함.|차주가 확인함.",
 }
@@ -181,7 +181,7 @@ def language(text: str) -> str:
 def mixed(r: random.Random, background: str, spans: list[tuple[int, int, str]], held_out: bool | None = None) -> tuple[str, list[tuple[int, int, str]]]:
     """A text with marked spans into which a written sentence or two are put, between its sentences; whole texts in one case now and then."""
     lang, text, marks = language(background), background, list(spans)
-    for _ in range(r.choice([0, 1, 1, 2])):
+    for _ in range(r.choice([0, 0, 1, 1, 2])):
         s, own = sentence(r, lang, held_out) if r.random() < 0.8 else (other(r, lang), [])
         gaps = [0, len(text)] + [m.end() for m in re.finditer(r"[.!?。]\s+|\n", text)]
         at = r.choice([g for g in gaps if not any(a < g < b for a, b, _ in marks)])

@@ -1,4 +1,4 @@
-"""Train the tagger: python -m tidewatch.llm.pii.train SF_DIR [SECONDS [go-on]]; go-on starts from the parameters that are there.
+"""Train the tagger: python -m tidewatch.llm.pii.train SF_DIR [SECONDS [N]]; with N, the N-th time that training goes on from the parameters that are there.
 
 Labelled rows: SAMPLE texts of the folder's complaints and summaries (a documented bound; the training only), with the spans of
 annotate.py, into most of which written sentences of labelled.py are put. A fifth of the written sentences is held out. All
@@ -70,7 +70,7 @@ def _work(args: tuple[dict[str, np.ndarray], int]) -> tuple[float, dict[str, np.
     return model.loss(args[0], *batch_of(_DATA, args[1]))
 
 
-def train(data: list[Row], seconds: float, rate: float = 4e-3, begin: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+def train(data: list[Row], seconds: float, rate: float = 4e-3, begin: dict[str, np.ndarray] | None = None, again: int = 0) -> dict[str, np.ndarray]:
     """Adam on the mean gradient of PROCESSES batches a step, for a time; the rate falls to zero along a cosine."""
     _DATA[:] = data
     p = begin or model.fresh(np.random.default_rng(SEED))
@@ -78,7 +78,7 @@ def train(data: list[Row], seconds: float, rate: float = 4e-3, begin: dict[str,
     began, step = time.time(), 0
     with multiprocessing.get_context("fork").Pool(PROCESSES) as pool:
         while (done := (time.time() - began) / seconds) < 1:
-            got = pool.map(_work, [(p, (SEED + (begin is not None)) * 10**9 + step * PROCESSES + i) for i in range(PROCESSES)], chunksize=1)
+            got = pool.map(_work, [(p, (SEED + again) * 10**9 + step * PROCESSES + i) for i in range(PROCESSES)], chunksize=1)
             step += 1
             g = {k: np.mean([x[1][k] for x in got], axis=0) for k in p}
             norm = float(np.sqrt(sum((x**2).sum() for x in g.values())))
@@ -112,7 +112,7 @@ if __name__ == "__main__":
     all_rows = rows(sys.argv[1])
     fit, test = all_rows[: len(all_rows) * 9 // 10], all_rows[len(all_rows) * 9 // 10 :]
     marked = [x for x in fit if x[1]]
-    p = train(fit + marked * 2, float(sys.argv[2]) if len(sys.argv) > 2 else 900, begin=dict(np.load(FILE)) if sys.argv[3:] else None)
+    p = train(fit + marked * 2, float(sys.argv[2]) if len(sys.argv) > 2 else 900, begin=dict(np.load(FILE)) if sys.argv[3:] else None, again=int((*sys.argv[3:], 0)[0]))
     np.savez_compressed(FILE, **{k: x.astype(np.float32) for k, x in p.items()})
     for k, (found, right, true) in held_out(p, test).items():
         print(f"{k}: precision {right / max(found, 1):.3f}, recall {right / max(true, 1):.3f} of {true}")
