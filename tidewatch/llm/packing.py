@@ -4,13 +4,13 @@ Sizes are whole numbers up to the capacity, so all of the instance is a histogra
 number of texts. The containers are planned on it; then each text finds its place by its rank among those of its size.
 
 Dominance: a set F of items that contains item j dominates another set that contains j, if the items of the other can be
-divided so that each part fits into an item of F. If F dominates every feasible set of the largest item j, some best
-packing holds F as a container, so F is fixed and the instance shrinks. Sets of up to three items are tried:
+divided so that each part fits into an item of F. If F dominates every feasible set that holds j, some best packing holds F
+as a container, so F is fixed and the instance shrinks. Sets of up to three items are tried, for each j from the largest:
   {j}        no other item fits beside j;
   {j, a}     a is the largest that fits, and either fills the container, or no two items fit beside j;
   {j, a, b}  three items don't fit beside j, a is the largest that fits, b the largest beside both, and no pair that fits
              has a smaller item above b.
-If j has no such set, it is put aside for best fit and the next largest is tried, as if j were already packed.
+The others may be larger than j. Items for which there is no such set are left for best fit.
 """
 
 from __future__ import annotations
@@ -43,6 +43,11 @@ class Stock:
         there = np.flatnonzero(self.n[1 : bound + 1])[::-1] + 1
         return next((int(s) for s in there if self.n[s] > less[int(s)]), 0)
 
+    def smallest_above(self, s: int, less: Counter) -> int:
+        """The smallest size above s of which more than less[size] are left; more than any container holds if there is none."""
+        above = np.flatnonzero(self.n[s + 1 :]) + s + 1
+        return next((int(x) for x in above if self.n[x] > less[int(x)]), len(self.n) * 2)
+
     def smallest(self, k: int, less: Counter) -> list[int]:
         """The k smallest items, without those in less."""
         out: list[int] = []
@@ -54,7 +59,7 @@ class Stock:
 
 
 def dominating(stock: Stock, j: int, capacity: int) -> tuple[int, ...] | None:
-    """A set of up to three items that holds j, the largest, and dominates all others that do."""
+    """A set of up to three items that holds j and dominates all others that do."""
     room, own = capacity - j, Counter([j])
     a = stock.largest(room, own)
     if not a:
@@ -76,14 +81,6 @@ def dominating(stock: Stock, j: int, capacity: int) -> tuple[int, ...] | None:
     return (j, a, b)
 
 
-def _smallest_above(self: Stock, s: int, less: Counter) -> int:
-    above = np.flatnonzero(self.n[s + 1 :]) + s + 1
-    return next((int(x) for x in above if self.n[x] > less[int(x)]), len(self.n) * 2)
-
-
-Stock.smallest_above = _smallest_above
-
-
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], dict[str, int]]:
     """Rows (size, lo, hi, box, each): the items of that size with ranks lo to hi - 1 go into the containers from box on, each to one.
 
@@ -96,13 +93,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
         used[size] += items
         stock.n[size] -= items
 
-    aside: Counter = Counter()
     for j in [int(s) for s in np.flatnonzero(stock.n)[::-1]]:
         while stock.n[j]:
             found = dominating(stock, j, capacity)
             if found is None:
-                aside[j] += int(stock.n[j])
-                stock.n[j] = 0
                 break
             need = Counter(found)
             # The same set dominates again and again while its sizes last: fewer other items leave fewer other sets.
@@ -111,8 +105,6 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
                 place(s, times * m, boxes, m)
             boxes += times
     fixed = boxes
-    for s, c in aside.items():
-        stock.n[s] = c
     open_boxes: dict[int, list[tuple[int, int]]] = {}  # by room left: runs of (first container, number)
     for s in [int(s) for s in np.flatnonzero(stock.n)[::-1]]:
         for room in sorted(r for r in open_boxes if r >= s):
@@ -123,7 +115,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
                 full = min(number, int(stock.n[s]) // each)
                 if full:
                     place(s, full * each, box, each)
-                    open_boxes.setdefault(room - full and room - each * s, []).append((box, full))
+                    open_boxes.setdefault(room - each * s, []).append((box, full))
                     box, number = box + full, number - full
                 if number and stock.n[s]:
                     m = int(stock.n[s])  # fewer than each: they share one container
