@@ -61,6 +61,19 @@ def test_normalized(spark):
     assert got["3"]["ldate"] is None and got["3"]["grp"] is None and "c15" not in got["1"].asDict()
 
 
+def test_quotes(spark):
+    from tidewatch.operators import quotes
+
+    text = "First part. " * 40 + "x" * 450 + " end"
+    found = quotes.cover(text)
+    assert all(b - a <= 200 and text[a:b] == text[a:b].strip() for a, b in found) and "".join(text[a:b] for a, b in found).replace(" ", "") == text.replace(" ", "")
+    df = spark.createDataFrame([("1", text, "first  PART."), ("2", "abc def", "c de!"), ("3", "abc", "abc"), ("4", None, "a"), ("5", "", "")], "id string, t string, q string")
+    assert {r["id"]: (r["verbatim"], r["in_any_case"], r["common"]) for r in quotes.diagnosed(df, "t", "q").collect()} == {"1": (False, True, 5), "2": (False, False, 4), "3": (True, True, 3), "4": (False, False, 0), "5": (True, True, 0)}
+    rows = spark.createDataFrame([(["a", "b"], ["1", "2"]), (["a"], ["9"]), ([], []), (["a", "a"], ["1", "1"])], "q array<string>, i array<string>")
+    supplied = F.array(F.lit("1"), F.lit("2"))
+    assert [r["r"] for r in rows.select(quotes.verbatim_summary(F.col("q"), F.col("i"), supplied).alias("r")).collect()] == ['"a" (#1) "b" (#2)', None, None, None]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text('1\t"x\t\n2\ty\n3\tz\t\n', encoding="utf-8")
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
