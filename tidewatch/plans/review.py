@@ -66,7 +66,7 @@ _KW_GRID = M._grid_sql().replace("where ldate is not null and grp", "where odino
 SQL = {
     "labeler_cells": f"with a as (with {_KW_GRID} select * from grid), b as (with {_LLM_GRID} select * from grid) select a.grp, a.category, a.month, a.n, b.n as n_llm, a.total from a join b on a.grp = b.grp and a.category = b.category and a.month = b.month where a.n <> b.n",
     "alert_crosscheck": f"with {M._EVIDENCE}, f as (select grp, category, month, count(*) as records from evi group by all) select det.grp, det.category, det.month, n, coalesce(records, 0) as records from det left join f on det.grp = f.grp and det.category = f.category and det.month = f.month where alert",
-    "brief_inputs": f"with {M._EVIDENCE}, i as (select grp, category, month, string_agg(odino, ',' order by fire desc nulls last, coalesce(injured, 0) > 0 desc nulls last, crash desc nulls last, odino) as ids from evi group by all) select grp, category, month, sha256(grp || '|' || category || '|' || strftime(month, '%Y-%m') || '|' || ids) as input_hash from bi",
+    "brief_inputs": f"with {M._EVIDENCE}, bi as (select grp, category, month, string_agg(odino, ',' order by fire desc nulls last, coalesce(injured, 0) > 0 desc nulls last, crash desc nulls last, odino) as ids from evi group by all) select grp, category, month, sha256(grp || '|' || category || '|' || strftime(month, '%Y-%m') || '|' || ids) as input_hash from bi",
     "reveal_lookup": f"with {M._POOL} select grp, min(id) as case_id from (select id, unnest(groups) as grp from pool where arm = 'case') group by grp",
     "month_completeness": "with r as (select distinct odino, cast(date_trunc('month', ldate) as date) as month, datea >= date_trunc('month', ldate) + interval 1 month as late from complaints where ldate is not null) select month, count(*) as n, count(*) filter (where late) as late from r group by month",
 }
