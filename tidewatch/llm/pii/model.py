@@ -126,7 +126,7 @@ def emissions(q: dict[str, np.ndarray], ids: np.ndarray, lengths: np.ndarray) ->
     low, lower, new = (np.empty((2, B, H), np.float32) for _ in range(3))
     for t in range(T):
         np.matmul(states[:, t], q["u"], out=z)
-        z += q["x"][turned[:, t]]
+        z += np.take(q["x"], turned[:, t], axis=0, out=room, mode="clip")
         tanh(z, room, more)
         np.add(z[..., H : 2 * H], 1, out=new)
         c *= new
@@ -231,13 +231,13 @@ def crf(p: dict[str, np.ndarray], em: np.ndarray, mask: np.ndarray, lengths: np.
     return float((z - score).sum()) / total, d / total, {k: v / total for k, v in g.items()}
 
 
-def gains(p: dict[str, np.ndarray], em: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Of each character of texts that begin at begins, the most that a tag other than O could add to the path of O alone."""
-    into = p["t"].max(0)[1:] - p["t"][0, 0]
-    out = (em[:, 1:] + into).max(1) - em[:, 0]
-    first = (em[begins, 1:] + p["s"][1:]).max(1) - em[begins, 0] - p["s"][0]
-    out[begins] = np.maximum(out[begins], first)
-    return out
+def gains(p: dict[str, np.ndarray], em: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each character of texts that begin at begins, the most that it could add within a span to the path of O alone, and what comes to it if the span begins there."""
+    t, o = p["t"], em[:, 0] + p["t"][0, 0]
+    within = (em[:, 1:] + t[1:, 1:].max(0)).max(1) - o
+    first = (em[:, 1:] + t[0, 1:]).max(1) - o
+    first[begins] = (em[begins, 1:] + p["s"][1:]).max(1) - em[begins, 0] - p["s"][0]
+    return within.astype(np.float64), (first - within).astype(np.float64)
 
 
 def leaving(p: dict[str, np.ndarray]) -> float:
@@ -245,23 +245,21 @@ def leaving(p: dict[str, np.ndarray]) -> float:
     return float(max((p["t"][1:, 0] - p["t"][0, 0]).max(), (p["f"][1:] - p["f"][0]).max()))
 
 
-def most(g: np.ndarray) -> np.ndarray:
-    """Of each place, the largest sum of any stretch that covers it."""
-    s = np.concatenate([[0], np.cumsum(g, dtype=np.float64)])
-    until = s[1:] - np.minimum.accumulate(s[:-1])
-    after = np.maximum.accumulate(s[:0:-1])[::-1] - s[:-1]
-    return until + after - g
+def most(within: np.ndarray, enters: np.ndarray) -> np.ndarray:
+    """Of each place, the largest value of any span that covers it: the sum of what is within, and what comes for its first place."""
+    s = np.concatenate([[0], np.cumsum(within)])
+    until = s[1:] + np.maximum.accumulate(enters - s[:-1])
+    return until + np.maximum.accumulate(s[:0:-1])[::-1] - s[1:]
 
 
 def best_path(p: dict[str, np.ndarray], em: np.ndarray) -> np.ndarray:
     """The tags of one whole text, of which em (T, TAGS) are the scores, by Viterbi.
 
-    A span adds at most the sum of its characters' gains and of leaving it. A character that no stretch of a positive bound
+    A span adds at most what its characters could gain, entering and leaving it. A character that no span of a positive bound
     covers is O in the best path, so only the stretches between such characters are walked; the result is the same.
     """
     tags = np.zeros(len(em), np.int8)
-    g = gains(p, em, np.zeros(1, int))
-    open_ = np.flatnonzero(most(g) + leaving(p) > 0)
+    open_ = np.flatnonzero(most(*gains(p, em, np.zeros(1, int))) + leaving(p) > 0)
     for part in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1) if len(open_) else []:
         a, b = int(part[0]), int(part[-1]) + 1
         v = em[a] + (p["s"] if a == 0 else p["t"][0])
@@ -341,11 +339,11 @@ def find(p: dict[str, np.ndarray], texts: list[str], q: dict[str, np.ndarray] |
     if there:
         sizes = np.array([len(em[i]) for i in there])
         begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        g = gains(p, np.concatenate([em[i] for i in there]), begins).astype(np.float64)
-        # Between two texts goes a loss that no stretch can make up.
-        loss_ = np.add.reduceat(np.maximum(g, 0), begins)
-        g = np.insert(g, begins, -1 - loss_ - np.concatenate([[0], loss_[:-1]]))
-        open_ = np.maximum.reduceat(most(g), begins + np.arange(len(begins)) + 1)
+        g, e = gains(p, np.concatenate([em[i] for i in there]), begins)
+        # Between two texts goes a loss that no span can make up, and at which none begins.
+        loss_ = 1 + np.add.reduceat(np.maximum(g, 0) + np.maximum(e, 0), begins)
+        g, e = np.insert(g, begins, -loss_ - np.concatenate([[0], loss_[:-1]])), np.insert(e, begins, 0)
+        open_ = np.maximum.reduceat(most(g, e), begins + np.arange(len(begins)) + 1)
         for i in np.flatnonzero(open_ + leaving(p) > 0):
             out[there[i]] = spans_of(best_path(p, em[there[i]]))
     return out
