@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.sources.cut import cut
+
 # Letters of other scripts that look like a Latin letter, from the Unicode charts; each line is a script's letters
 # and the Latin ones in the same order. Accented ones need no entry: their bases and marks are looked at apart.
 SCRIPTS = ["Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Lisu"]
@@ -85,8 +87,8 @@ def form(text: str) -> str:
 
 def key(text: str | None) -> str | None:
     """A hash that texts have in common exactly if they look alike; None for null and for texts without a visible character."""
-    seen = form(text).strip() if text else ""
-    return hashlib.sha256(form(text).translate(KANA).encode("utf-8", "surrogatepass")).hexdigest() if seen else None
+    seen = form(text) if text else ""
+    return hashlib.sha256(seen.translate(KANA).encode("utf-8", "surrogatepass")).hexdigest() if seen.strip() else None
 
 
 def with_form(df: DataFrame, text: str = "text", out: str = "form") -> DataFrame:
@@ -110,7 +112,8 @@ def classes(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
         for s in texts:
             yield s.map(key, na_action="ignore")
 
-    hashed = df.where(F.col(text).isNotNull()).select(id, keys(text).alias("_key"), F.sha2(text, 256).alias("own")).where("_key is not null")
+    # Hashes only, made once: they are read for the classes, for their rows, and by both sides of pairs.
+    hashed = cut(df.where(F.col(text).isNotNull()).select(id, keys(text).alias("_key"), F.sha2(text, 256).alias("own"))).where("_key is not null")
     firsts = hashed.groupBy("_key", "own").agg(F.min(id).alias("_first")).groupBy("_key").agg(F.min("_first").alias("class"), F.count("*").alias("texts"))
     return hashed.join(firsts, "_key").select(id, "class", "own", "texts")
 
