@@ -86,8 +86,8 @@ def judged(texts: DataFrame) -> DataFrame:
     texts count, however often they occur; an empty table gives an empty result.
     """
     spark = texts.sparkSession
-    prepared = cut(steps(texts.where("value is not null"), _PREPARED))  # read three times
-    ends, trigrams = steps(prepared, _ENDS), steps(prepared, _TRIGRAMS)
+    prepared = cut(steps(texts.where("value is not null"), _PREPARED))  # read twice, as the ends are
+    ends, trigrams = cut(steps(prepared, _ENDS)), steps(prepared, _TRIGRAMS)
     # The distinct last trigrams meet the counts, so that a frequent one is no hot key.
     counted = spark.sql(_COUNTED, finals=ends.select("w1", "w2", "w3").distinct(), trigrams=trigrams)
     return steps(spark.sql(_SUMMED, ends=ends, counted=counted), [_JUDGED])
