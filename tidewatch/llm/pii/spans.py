@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import functools
+import io
+import pkgutil
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ SPANS = "array<struct<begin:int,until:int,kind:string>>"
 
 @functools.cache
 def trained() -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """The parameters, read once in each worker."""
-    p = dict(np.load(Path(__file__).with_name("model.npz")))
+    """The parameters, read once in each worker from the package, wherever it lies."""
+    p = dict(np.load(io.BytesIO(pkgutil.get_data("tidewatch.llm.pii", "model.npz"))))
     return p, model.inputs(p)
 
 
