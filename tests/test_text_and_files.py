@@ -157,3 +157,12 @@ def test_registered_queries_run_and_equal_their_sql(spark, sf):
     con = oracle.connect(sf)
     said = {k: oracle.compare(spark, con, k, registry.QUERIES[k], registry.SQL[k], sf) for k in registry.SQL}
     assert {k: s for k, s in said.items() if not s.startswith("ok")} == {}
+
+
+def test_command_line(capsys, tmp_path, spark, sf):
+    from tidewatch import cli
+
+    assert cli.main(["list"]) == 0 and "causal_poisson_alerts" in capsys.readouterr().out
+    assert cli.main(["first_ids", sf, str(tmp_path / "out")]) == 0 and json.loads(capsys.readouterr().out) == {"query": "first_ids", "rows": 5}
+    with pytest.raises(SystemExit):
+        cli.main(["no_such_query", sf, str(tmp_path / "x")])
