@@ -171,6 +171,21 @@ def test_masking(spark):
     assert spans.with_spans(df.limit(0), "value", ["odino"]).count() == 0
 
 
+def test_the_jvm_tagger_finds_what_numpy_finds(spark, sf):
+    """On all texts of a small table, on texts at and around the size of a window, on long ones and on keys of other types."""
+    from tidewatch.llm import queries as Q
+
+    assert spans.jvm.there(spark.range(1))
+    base = Q.fields(spark, sf)
+    joined = "😀 I live at 12 Umberwood Lane, Apt. 3. 차주 김하늘, 010-2345-6789. " + " ".join(r["value"] for r in base.limit(150).collect() if r["value"])
+    texts = [None, "", " ", "x", joined] + [joined[k : k + n] for k, n in enumerate((1, 5, 383, 384, 385, 447, 448, 449, 704, 705, 3000))]
+    odd = spark.createDataFrame([("odd", str(i), t) for i, t in enumerate(texts)], base.schema)
+    df = base.unionByName(odd).unionByName(odd).withColumns({"day": F.lit("2020-02-02").cast("date"), "sum": F.lit("1.50").cast("decimal(9,2)"), "many": F.array(F.lit("a"), F.lit(None))})
+    got = [sorted(map(repr, spans.with_spans(df, "value", ["odino", "field", "day", "sum", "many"], in_jvm).collect())) for in_jvm in (True, False)]
+    assert got[0] == got[1] and len(got[0]) == df.count() and sum("begin=" in r for r in got[0]) > 10
+    assert spans.with_spans(df.limit(0), "value", ["odino"], True).count() == 0
+
+
 def test_p7_equals_its_sql(spark, sf):
     import oracle
 

@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidewatch.llm.pii import model
+from tidewatch.llm.pii import jvm, model
 
 #: Texts whose windows are put in order of length together, so that batches are even.
 CHUNK = 2048
@@ -26,14 +27,18 @@ def trained() -> tuple[dict[str, np.ndarray], np.ndarray]:
     return p, model.inputs(p)
 
 
-def with_spans(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+def with_spans(df: DataFrame, text: str, keep: list[str], in_jvm: bool | None = None) -> DataFrame:
     """keep, text and spans (begin from 1, until inclusive, kind) of each row.
 
     Null and empty texts have no spans. The whole text is read, in overlapping windows whose scores are put together before
-    one decoding; rows come out as often as they come in; an empty table gives an empty result.
+    one decoding; rows come out as often as they come in; an empty table gives an empty result. in_jvm: by Tagger.java or by
+    model.py, which find the same; None: by Tagger.java where it can run.
     """
     rows = df.select(*keep, F.col(text).alias(text))
     n = len(keep)
+    schema = "".join(f"`{c}` {t}, " for c, t in rows.dtypes) + f"spans {SPANS}"
+    if jvm.there(df) if in_jvm is None else in_jvm:
+        return jvm.with_spans(rows, n, StructType.fromDDL(schema), trained)
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("until", pa.int32()), ("kind", pa.string())]))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,8 +50,7 @@ def with_spans(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
                 spans = pa.array([[{"begin": a + 1, "until": b, "kind": x} for a, b, x in f] for f in found], kind)
                 yield pa.RecordBatch.from_arrays([*part.columns, spans], [*keep, text, "spans"])
 
-    schema = "".join(f"`{c}` {t}, " for c, t in rows.dtypes)
-    return rows.mapInArrow(of, schema + f"spans {SPANS}")
+    return rows.mapInArrow(of, schema)
 
 
 def kinds(spanned: DataFrame, keep: list[str]) -> DataFrame:
