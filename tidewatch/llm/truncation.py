@@ -26,7 +26,8 @@ _DENSE = r"\\u0E00-\\u0E7F\\u3041-\\u30FF\\u3400-\\u9FFF"
 
 #: Steps, each a query over the step before ({_}). U+0001 is an end of a sentence, U+0002 a stop of unknown meaning. What can
 #: only stand at the end of a text (a mark of omission, the last stop) is looked for there alone, and no pattern begins with a
-#: look behind, so each pass over a text is one comparison a character.
+#: look behind, so each pass over a text is one comparison a character. The last sentence has a column of its own, so that the
+#: ends are read without the others.
 _PREPARED = [
     rf"select source_table, row_key, kind, value, rlike(right(rtrim(value), 24), '{_OMISSION}') as omitted from {{_}}",
     rf"select source_table, row_key, kind, omitted, case when omitted then regexp_replace(value, '{_OMISSION}', '') else value end as bare from {{_}}",
@@ -37,11 +38,13 @@ _PREPARED = [
            else regexp_replace(regexp_replace(s, '[!?]+{_CLOSERS}(?=\\s)', '\u0001'), '[.…]+{_CLOSERS}(?=\\s+{_OPENERS}\\p{{{{L}}}})', '\u0002') end as s from {{_}}""",
     r"""select source_table, row_key, kind, omitted, ended, filter(transform(split(lower(
       case when unmarked then regexp_replace(s, '\\s(?:(?<=[\\u0E00-\\u0E7F]\\s)(?=\\s*[\\u0E00-\\u0E7F])|(?<=(?:니다|까요|어요)\\s))', '\u0001') else s end), '\u0001'), x -> trim(x)), x -> rlike(x, '[^\\s.!?…]')) as sentences from {_}""",
+    "select source_table, row_key, kind, omitted, ended, sentences, size(sentences) as many, try_element_at(sentences, -1) as s from {_}",
 ]
 _WORDS = rf"concat(array('^', '^'), regexp_extract_all(s, '\u0002|[{_DENSE}]|[\\p{{{{L}}}}\\p{{{{M}}}}\\p{{{{N}}}}\\$@&+%#_\\x27’\\-&&[^{_DENSE}]]+', 0))"
 _TRIGRAMS = [
-    "select explode(transform(sentences, (x, i) -> struct(x as s, i + 1 < size(sentences) or ended as complete))) as e from {_}",
-    "select e.s as s, e.complete as complete, count(*) as n from {_} group by e.s, e.complete",
+    "select posexplode(sentences) as (i, s), many, ended from {_}",
+    "select s, i + 1 < many or ended as complete from {_}",
+    "select s, complete, count(*) as n from {_} group by s, complete",
     f"select {_WORDS} as w, complete, n from {{_}}",
     "select explode(transform(sequence(0, size(w) - 3), i -> struct(w[i] as w1, w[i + 1] as w2, w[i + 2] as w3, i + 3 = size(w) as last))) as t, complete, n from {_} where size(w) > 2",
     r"""select t.w1 as w1, t.w2 as w2, t.w3 as w3, sum(case when t.last then 0 else n end) as inside, sum(case when t.last and complete then n else 0 end) as final
@@ -52,7 +55,7 @@ _TRIGRAMS = [
 ]
 #: A last trigram with a stop of unknown meaning is read in two ways: as if a sentence began there, and as if there were no stop.
 _ENDS = [
-    "select source_table, row_key, kind, omitted, ended, try_element_at(sentences, -1) as s from {_} where size(sentences) > 0",
+    "select source_table, row_key, kind, omitted, ended, s from {_} where many > 0",
     f"select source_table, row_key, kind, omitted, ended, {_WORDS} as w from {{_}}",
     """select source_table, row_key, kind, omitted, ended, slice(w, -3, 3) as whole, slice(filter(w, x -> x <> '\u0002'), -3, 3) as plain,
       array_position(reverse(slice(w, -3, 3)), '\u0002') as at from {_} where size(w) > 2""",
