@@ -88,6 +88,24 @@ def test_ends_are_read_without_the_other_sentences(spark):
     assert "sentences:" not in ends._jdf.queryExecution().executedPlan().toString().partition("ReadSchema")[2]
 
 
+def test_words_are_looked_for_once(spark):
+    df = spark.createDataFrame([("complaints", "a", "X", "One here. Two there"), ("complaints", "b", "X", "(*) Yes. (*)"), ("complaints", "c", "X", "(*)")], "source_table string, row_key string, kind string, value string")
+    prepared = truncation.cut(truncation.steps(df, truncation._PREPARED))
+    for queries, rows in ((truncation._ENDS, {("^", "two", "there"), ("^", "^", "yes")}), (truncation._TRIGRAMS[:6], {("^", "^", "one"), ("^", "one", "here"), ("^", "^", "two"), ("^", "two", "there"), ("^", "^", "yes")})):
+        found = truncation.steps(prepared, queries)
+        assert {(r["w1"], r["w2"], r["w3"]) for r in found.collect()} == rows
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_characters_of_words(spark):
+    dense = "\\u0E00-\\u0E7F\\u3041-\\u30FF\\u3400-\\u9FFF"
+    words = f"\\u0002|[{dense}]|[\\p{{L}}\\p{{M}}\\p{{N}}$@&+%#_'’\\-&&[^{dense}]]+"
+    df = spark.createDataFrame([("".join(c for i in range(at, at + 0x400) if not 0xD800 <= i < 0xE000 for c in (chr(i), "a", chr(i), " ")),) for at in range(0, 0x110000, 0x400)], "s string")
+    got = truncation.steps(df, [f"select s, {truncation._WORDS} as w from {{_}}"])
+    assert got.count() == 1088
+    assert got.where(F.col("w") != F.concat(F.array(F.lit("^"), F.lit("^")), F.regexp_extract_all("s", F.lit(words), F.lit(0)))).count() == 0
+
+
 SAME = [("STOP it", "ЅТОР it"), ("ＡＢＣ １２", "ABC 12"), ("café", "café"), ("a​b c", "ab c"), ("part 9-1", "part 9‑1"), ("ﬁne", "fine"), ("ｶﾞ", "ガ"), ("ΤΗΕ", "THE"), ("한", "한"), ("tοp", "top")]
 OTHER = [("résumé", "resume"), ("a b", "ab"), ("I1l", "lI1"), ("жук", "xyk"), ("abc", "abc!"), ("a\nb", "a b")]
 
